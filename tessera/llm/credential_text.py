@@ -27,7 +27,8 @@ ISSUED = (
 )
 # What the last word of a telling name is, and the words that make "key" telling.
 KEY_OF = "api|access|secret|signing|encryption|hmac|licen[cs]e|account|private|client|master|auth|shared|service|ssh|deploy|storage|session|webhook|crypto|aes|jwt|root|admin|user|app|db"
-NAME = rf"(?:[A-Za-z0-9]+[_\-. ]?)*?(?:pass(?:words?|wd|wor[dt]|phrase|code)?|pwd|pw|secrets?|token|credentials?|kennwort|(?:{KEY_OF})[_\-. ]?key)"
+TELLING = rf"(?:pass(?:words?|wd|wor[dt]|phrase|code)?|pwd|pw|secrets?|token|credentials?|kennwort|(?:{KEY_OF})[_\-. ]?key)"
+NAME = rf"[A-Za-z0-9_\-.]*?{TELLING}"
 PLACEHOLDER = re.compile(
     r"""(?xi) ^\s*$ | ^(.)\1*$ | ^[*x.\-_#]+$ | ^0+$
     | ^(?:change|replace|fill|enter|put|set|insert|add|your|my|example|sample|dummy|fake|placeholder|redacted|removed|hidden|todo|tbd|fixme|none|null|nil|true|false|auto|undefined|default|empty|secret|password|passwd|token|changeit)(?:$|[_\-. ]|me|this|here)
@@ -37,7 +38,7 @@ PLACEHOLDER = re.compile(
 )
 CERTAIN = re.compile("(?<![A-Za-z0-9_])(?:" + "|".join(ISSUED) + ")")
 QUOTED = r"""(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)"""
-NAMED = re.compile(rf"""(?i)(?<![A-Za-z0-9]){NAME}(?![A-Za-z0-9])["'\]]*(?:\s*:\s*&?[A-Za-z]+(?=\s*=)|\s*\{{\s*get;\s*set;\s*\}})?\s*(?:=>|:=|=|:|,)\s*(?:{QUOTED}|([^\s"'`<>;,()\[\]{{}}]+(?=$|[\s;,<'")])))""")
+NAMED = re.compile(rf"""(?i){TELLING}(?![A-Za-z0-9])["'\]]*(?:\s*:\s*&?[A-Za-z]+(?=\s*=)|\s*\{{\s*get;\s*set;\s*\}})?\s*(?:=>|:=|=|:|,)\s*(?:{QUOTED}|([^\s"'`<>;,()\[\]{{}}]+(?=$|[\s;,<'")])))""")
 SPACED = re.compile(rf"""(?i)(?:^|\s)(?:\#define\s+{NAME}\s+{QUOTED}|ENV\s+{NAME}\s+(\S+)|(?:^\s*|login\s+\S+\s+)(?:password|passwd|pw)\s+([^\s"'=:]+)\s*$)""")
 ATTRIBUTE = re.compile(rf"""(?i)(?:key|name|id)\s*=\s*["']{NAME}["']\s+(?:value|content)\s*=\s*{QUOTED}""")
 ELEMENT = re.compile(rf"(?i)<({NAME})(?:\s[^<>]*)?>([^<>\s]+)</")
@@ -49,10 +50,11 @@ SPOKEN = re.compile(
     r"""(?xi) (?:password|passwort|passwd|passphrase|pw|pwd|secret|token|api[ ]key)\s+(?:is|was|ist|lautet|=)\s+(\S+) | passphrase\s+(\S+) | \blogin\s+\S+\s+/\s+(\S+) | \buse\s+(\S+)\s+for\s+user\b | --?(?:password|passwd|pass|pw|token|secret|api-key)[= ](\S+)
     | sshpass\s+-p\s*(\S+) | curl\s[^\n]*?-u\s+["']?[^\s:"']+:([^\s"']+) | \bmysql\b[^\n]*\s-p(\S+) | (?:密码|口令|密钥)\s*(?:是|为|：|:)\s*(\S+)"""
 )
-BELOW = re.compile(rf"""(?i)(?<![A-Za-z0-9])({NAME})["'\]]*\s*(?:\s*:\s*&?[A-Za-z]+(?=\s*=))?(?:=>|:=|=|:)\s*(?:\(|[>|][+-]?|\\|\"\"\"|'''|`)?\s*$|<({NAME})(?:\s[^<>]*)?>\s*$""")
+BELOW = re.compile(rf"""(?i)({TELLING})["'\]]*\s*(?:\s*:\s*&?[A-Za-z]+(?=\s*=))?(?:=>|:=|=|:)\s*(?:\(|[>|][+-]?|\\|\"\"\"|'''|`)?\s*$|<({NAME})(?:\s[^<>]*)?>\s*$""")
 LONE = re.compile(rf"""^\s*(?:{QUOTED}[,;)]*|([^\s"'`<>(){{}}\[\],;]+))\s*\\?$""")
 BEGIN_KEY = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 BODY = re.compile(r"[A-Za-z0-9+/]{40,}")
+END_KEY = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 JOINED = re.compile(r"""(["'])\s*(?:\+|\.{1,2}|&|~|<>|\|\|)?\s*\1""")
 HASHED = re.compile(r"(?i)^(?:sha\d*[-:]|fp:|md5:)")
 LIKELY = re.compile(r"(?i)pass|pwd|pw|secret|token|key|credential|kennwort|login|use |bearer|basic|-u |://|密|口令|AKIA|ASIA|AIza|gh[pousr]_|github_pat|glpat|xox|npm_|pypi-|k_live|k_test|whsec|SG\.|pat_|dop_v1|hf_|eyJ|-p")
@@ -62,6 +64,8 @@ def weak(value: str, bare: bool) -> bool:
     """A value that opens nothing: a placeholder, a reference, a plain word or number, a digest with its method."""
     if len(value) < 6 or PLACEHOLDER.search(value) or HASHED.match(value) or CERTAIN.search(value) is None and ("://" in value or " " in value):
         return True
+    if bare and re.match(r"[A-Za-z_]\w*=", value):  # the next argument, with its default
+        return True
     digits, lower, upper = sum(c.isdigit() for c in value), any(c.islower() for c in value), any(c.isupper() for c in value)
     if digits == len(value) or re.fullmatch(r"[\d.,:\-+/]+", value):
         return True
@@ -110,6 +114,15 @@ def on_line(line: str) -> Iterator[tuple[str, str]]:
         yield "spoken", next((g for g in m.groups() if g is not None), "").strip("\"'`,;")
 
 
+def key_end(text: str, begin: int) -> int:
+    """The end of the private key whose BEGIN mark ends at ``begin``: its END mark, or without one the end of the line after it."""
+    end, after = END_KEY.search(text, begin), BEGIN_KEY.search(text, begin)
+    if end and not (after and after.start() < end.start()):
+        return end.start()
+    stop = text.find("\n", text.find("\n", begin) + 1) if "\n" in text[begin:] else -1
+    return stop if stop >= 0 else len(text)
+
+
 def literals(text: str) -> Iterator[tuple[int, str, str]]:
     """(line_no, form, value) of the literals of a text that may be credentials; a private key counts on its BEGIN line, a value below its name on its own line."""
     lines = text.split("\n")

@@ -6,9 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.common import guid, table
+from tessera.llm.credentials import credentials, redacted
 from tessera.llm.token_slices import token_slices
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "file_contents_fts").select("snapshot_id", "path", "content")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return credentials(_texts(spark, sf)).select("snapshot_id", "path", "line_no").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The indexed texts with their credentials masked."""
+    files = _texts(spark, sf)
+    return redacted(files, credentials(files))
+
+
 def p4_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Estimated tokens of the indexed files per workspace and language."""
     snaps = table(spark, sf, "index_snapshots").select(guid("id").alias("snapshot_id"), guid("workspace_id").alias("workspace_id"))
@@ -16,6 +31,6 @@ def p4_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return token_slices(files, snaps)
 
 
-QUERIES = {f.__name__: f for f in (p4_tokens,)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p4_tokens)}
 
 SQL: dict[str, str] = {}
