@@ -29,10 +29,16 @@ ISSUED = (
 KEY_OF = "api|access|secret|signing|encryption|hmac|licen[cs]e|account|private|client|master|auth|shared|service|ssh|deploy|storage|session|webhook|crypto|aes|jwt|root|admin|user|app|db"
 TELLING = rf"(?:pass(?:words?|wd|wor[dt]|phrase|code)?|pwd|pw|secrets?|token|credentials?|kennwort|(?:{KEY_OF})[_\-. ]?key)"
 NAME = rf"[A-Za-z0-9_\-.]*?{TELLING}"
+# The words with which placeholders begin, and those that may follow; a value that goes on otherwise is left to the count of its owners.
+FIRST = "change|replace|fill|enter|put|set|insert|add|your|my|example|sample|dummy|fake|placeholder|redacted|removed|hidden|todo|tbd|fixme|none|null|nil|true|false|auto|undefined|default|empty|secret|password|passwd|token|changeit"
+WORDS = FIRST + (
+    "|our|the|an|pass|pwd|passphrase|secrets|me|this|here|it|in|with|by|for|to|from|of|is|not|no|be|at|real|actual|some|any|new|value|string|text|key|keys|api|access|auth|client|user|username|admin|root|login|account|service"
+    "|db|database|app|private|public|credential|credentials|prod|production|dev|test|local|env|vault|later|before|deploy|use|goes|x++"
+)
 PLACEHOLDER = re.compile(
-    r"""(?xi) ^\s*$ | ^(.)\1*$ | ^[*x.\-_#]+$ | ^0+$
-    | ^(?:change|replace|fill|enter|put|set|insert|add|your|my|example|sample|dummy|fake|placeholder|redacted|removed|hidden|todo|tbd|fixme|none|null|nil|true|false|auto|undefined|default|empty|secret|password|passwd|token|changeit)(?:$|[_\-. ]|me|this|here)
-    | [_\-. ]here$ | ^<[^<>]*>$ | ^%[^%]*%$ | \$\{[^}]*\} | \{\{.*\}\} | ^\$[A-Za-z_(] | ^\#\{ | ^@[A-Za-z.]+\( | ^%\( | ^\[[^\]]*\]$
+    rf"""(?xi) ^\s*$ | ^(.)\1*$ | ^[*x.\-_#]+$ | ^0+$
+    | ^(?:{FIRST})(?=$|[_\-. ]|me|this|here)(?:[_\-. ]*(?:{WORDS}|\d{{1,3}}(?!\d)))*[!._\-]*$
+    | [_\-. ]here$ | ^<[^<>]*>$ | ^%[^%]*%$ | \$\{{[^}}]*\}} | \{{\{{.*\}}\}} | ^\$[A-Za-z_(] | ^\#\{{ | ^@[A-Za-z.]+\( | ^%\( | ^\[[^\]]*\]$
     | ^(?:vault|env|ssm|secretsmanager|arn|op|file|keyring|kms|ref|secretref|azurekv|gcp|sops|pass|bw)[:/] | (?:getenv|environ|process\.env|env!|ENV\.|ENV\[|Environment\.) | ^[a-z_]+(?:\.[a-z_]+)*\([^)]*\)?$ | EXAMPLE$
     """
 )
@@ -55,6 +61,8 @@ LONE = re.compile(rf"""^\s*(?:{QUOTED}[,;)]*|([^\s"'`<>(){{}}\[\],;]+))\s*\\?$""
 BEGIN_KEY = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 BODY = re.compile(r"[A-Za-z0-9+/]{40,}")
 END_KEY = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+AROUND = re.compile(r"""^[\s"'`+#/*;]+(?=[A-Za-z0-9+/\s]|$)|[\s"'`+;,\\]+$""")
+KEY_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9\-]*:(?:\s|$)")
 JOINED = re.compile(r"""(["'])\s*(?:\+|\.{1,2}|&|~|<>|\|\|)?\s*\1""")
 HASHED = re.compile(r"(?i)^(?:sha\d*[-:]|fp:|md5:)")
 LIKELY = re.compile(r"(?i)pass|pwd|pw|secret|token|key|credential|kennwort|login|use |bearer|basic|-u |://|密|口令|AKIA|ASIA|AIza|gh[pousr]_|github_pat|glpat|xox|npm_|pypi-|k_live|k_test|whsec|SG\.|pat_|dop_v1|hf_|eyJ|-p")
@@ -123,6 +131,25 @@ def key_end(text: str, begin: int) -> int:
     return stop if stop >= 0 else len(text)
 
 
+def has_key_body(lines: list[str]) -> bool:
+    """Whether 40 characters of base64 follow a BEGIN mark before its END, past headers, blank lines and signs of remarks or strings; the first line is the rest of the mark's own."""
+    length = 0
+    for k, row in enumerate(p for line in lines for p in line.replace("\\r", "").replace("\\n", "\n").split("\n")):
+        if BODY.search(row):
+            return True
+        if "-----" in row:
+            return False
+        row = AROUND.sub("", row)
+        if k == 0 or not row or KEY_HEADER.match(row):
+            continue
+        if not re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", row):
+            return False
+        length += len(row)
+        if length >= 40:
+            return True
+    return False
+
+
 def literals(text: str) -> Iterator[tuple[int, str, str]]:
     """(line_no, form, value) of the literals of a text that may be credentials; a private key counts on its BEGIN line, a value below its name on its own line."""
     lines = text.split("\n")
@@ -136,8 +163,7 @@ def literals(text: str) -> Iterator[tuple[int, str, str]]:
         if not LIKELY.search(line):
             continue
         if m := BEGIN_KEY.search(line):
-            rest = line[m.end() :] + (lines[i + 1] if i + 1 < len(lines) else "")
-            if BODY.search(rest.replace("\\n", "\n")):
+            if has_key_body([line[m.end() :], *lines[i + 1 : i + 40]]):
                 yield i + 1, "private key", m.group(0)
             continue
         whole = JOINED.sub("", line) if JOINED.search(line) else line
