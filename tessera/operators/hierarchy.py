@@ -18,6 +18,8 @@ from tessera.common import Stage
 
 #: Siblings that are put in order within one window; a parent with more of them gets several windows, chained.
 SIBLINGS = 50_000
+#: Tasks over which the rows of one loop are spread.
+SALTS = 16
 
 
 def _numbered(nodes: DataFrame, st: Stage) -> tuple[DataFrame, DataFrame]:
@@ -53,14 +55,14 @@ def _loops(edges: DataFrame, st: Stage) -> DataFrame | None:
 
 
 def _loop_names(ring: DataFrame, base: DataFrame, st: Stage) -> DataFrame:
-    """(n, least): for each loop node the smallest id of its loop, by doubling."""
-    cur = st.keep(ring.join(base.select("n", "id"), "n").select("n", "p", F.col("id").alias("least")))
-    for _ in range(math.ceil(math.log2(ring.seen["n"] + 1))):
-        other = cur.select(F.col("n").alias("p"), F.col("p").alias("pp"), F.col("least").alias("other"))
-        nxt = st.keep(cur.join(other, "p").select("n", F.col("pp").alias("p"), F.least("least", "other").alias("least")))
+    """(n, least, place): for each loop node the smallest id of its loop and the steps up to it, by doubling."""
+    cur = st.keep(ring.join(base.select("n", "id"), "n").select("n", "p", F.struct(F.col("id").alias("least"), F.lit(0).cast("long").alias("place")).alias("name")))
+    for k in range(math.ceil(math.log2(ring.seen["n"] + 1))):
+        other = cur.select(F.col("n").alias("p"), F.col("p").alias("pp"), F.struct(F.col("name.least").alias("least"), (F.col("name.place") + F.lit(2**k).cast("long")).alias("place")).alias("other"))
+        nxt = st.keep(cur.join(other, "p").select("n", F.col("pp").alias("p"), F.least("name", "other").alias("name")))
         st.drop(cur)
         cur = nxt
-    return cur.select("n", "least")
+    return cur.select("n", "name.least", "name.place")
 
 
 def _siblings(tree: DataFrame) -> DataFrame:
@@ -112,9 +114,10 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
 
     nodes: (id, parent, at). Of several rows with one id the one with the greatest ``at`` counts (of equal ones the greatest parent; a null
     ``at`` counts least); rows with null id are left out. A parent that is null or has no row makes the node a root.
-    Returns (id, parent, root_id, depth, tree, enter, exit, descendants, depth_in, cyclic): ``enter``/``exit`` is the interval in the Euler tour of the tree, a node's
+    Returns (id, parent, root_id, depth, tree, enter, exit, descendants, depth_in, cyclic, place): ``enter``/``exit`` is the interval in the Euler tour of the tree, a node's
     descendants are those of the same ``tree`` whose interval lies within. For nodes in or below a loop depth is -1 and root_id the smallest id of
-    the loop; their intervals belong to the tree that hangs on their loop node, which ``tree`` names, and ``depth_in`` counts from it. An empty table gives an empty result; further columns are ignored.
+    the loop; their intervals belong to the tree that hangs on their loop node, which ``tree`` names, ``depth_in`` counts from it, and ``place`` is the number of
+    steps from it up to root_id. A loop node (depth_in 0) is above every other row of its root_id, which ``descendants`` counts. An empty table gives an empty result; further columns are ignored.
     """
     spark = nodes.sparkSession
     st = Stage(spark, "hierarchy")
@@ -124,12 +127,14 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
     pos = _ranked(base, tree, st)
     names = base.select(F.col("n").alias("r"), F.col("id").alias("tree"))
     out = pos.join(base, "n").join(names, "r")
-    if ring is not None:
-        out = out.join(_loop_names(ring, base, st).withColumnRenamed("n", "r"), "r", "left")
-    else:
-        out = out.withColumn("least", F.lit(None).cast("string"))
     # the tour's length is twice the root's subtree; places count from the tour's start
     total = pos.where("n = r").select("r", (F.col("enter_left") + 1).alias("length"))
+    if ring is not None:
+        loops = _loop_names(ring, base, st).withColumnRenamed("n", "r")
+        rows = loops.join(total, "r").groupBy("least").agg((F.sum("length") / 2).cast("long").alias("loop_rows"))
+        out = out.join(loops.join(rows, "least"), "r", "left")
+    else:
+        out = out.select("*", F.lit(None).cast("string").alias("least"), F.lit(None).cast("long").alias("place"), F.lit(None).cast("long").alias("loop_rows"))
     return out.join(total, "r").select(
         "id",
         "parent",
@@ -138,9 +143,10 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
         "tree",
         (F.col("length") - 1 - F.col("enter_left")).alias("enter"),
         (F.col("length") - 1 - F.col("exit_left")).alias("exit"),
-        ((F.col("enter_left") - F.col("exit_left") - 1) / 2).cast("long").alias("descendants"),
+        F.coalesce(F.when(F.col("n") == F.col("r"), F.col("loop_rows") - 1), ((F.col("enter_left") - F.col("exit_left") - 1) / 2).cast("long")).alias("descendants"),
         F.col("depth").cast("int").alias("depth_in"),
         F.col("least").isNotNull().alias("cyclic"),
+        "place",
     )
 
 
@@ -148,6 +154,7 @@ def descendants(placed: DataFrame) -> DataFrame:
     """(ancestor_id, id, distance) for each proper descendant, from the intervals of ``hierarchy``.
 
     Each interval is cut into its at most 2 log2 dyadic blocks and each node into the blocks that hold its entry, so containment becomes an equality join.
+    Below a loop's node lie the other nodes of its loop and all that hangs on them; they come by a join on the loop's name. No node is its own descendant.
     """
     levels = F.ceil(F.log2(F.greatest(F.lit(2), F.col("exit") + 1))).cast("int")
     inner = placed.where("descendants > 0").select(F.col("id").alias("ancestor_id"), F.col("depth_in").alias("d0"), "tree", F.col("enter").alias("a"), F.col("exit").alias("z"), F.explode(F.sequence(F.lit(0), levels)).alias("k"))
@@ -158,4 +165,13 @@ def descendants(placed: DataFrame) -> DataFrame:
     top = F.ceil(F.log2(F.greatest(F.lit(2), F.col("enter") + 1))).cast("int") + 1
     points = placed.select("id", F.col("depth_in").alias("d1"), "tree", "enter", F.explode(F.sequence(F.lit(0), top)).alias("k"))
     points = points.select("id", "d1", "tree", "k", F.expr("shiftright(enter, k)").alias("block"))
-    return blocks.join(points, ["tree", "k", "block"]).select("ancestor_id", "id", (F.col("d1") - F.col("d0")).alias("distance"))
+    within = blocks.join(points, ["tree", "k", "block"]).select("ancestor_id", "id", (F.col("d1") - F.col("d0")).cast("int").alias("distance"))
+    return within.unionByName(_around(placed))
+
+
+def _around(placed: DataFrame) -> DataFrame:
+    """(ancestor_id, id, distance): each loop node with the other nodes of its loop and what is below those."""
+    member = placed.where("cyclic and depth_in = 0").select("root_id", F.col("id").alias("ancestor_id"), F.col("place").alias("to"))
+    member = member.join(member.groupBy("root_id").agg(F.count("*").alias("length")), "root_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    below = placed.where("cyclic").select("root_id", "id", "tree", "depth_in", "place", F.pmod(F.hash("id"), F.lit(SALTS)).alias("salt"))
+    return member.join(below, ["root_id", "salt"]).where("ancestor_id != tree").select("ancestor_id", "id", (F.col("depth_in") + F.expr("pmod(place - to, length)")).cast("int").alias("distance"))
