@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.common import guid, table
+from tessera.llm import handwritten
 from tessera.llm.credentials import credentials, redacted
 from tessera.llm.token_slices import token_slices
 
@@ -14,6 +15,17 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "file_contents_fts").select("snapshot_id", "path", "content")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_reasons(spark, sf).select("id")
+
+
+def p2_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """The files nobody wrote by hand, each with the rule that tells."""
+    files = table(spark, sf, "files").select("id", guid("snapshot_id").alias("snapshot_id"), F.coalesce("normalized_path", "path").alias("path"), "content_hash", "size", "is_binary")
+    texts = table(spark, sf, "file_contents_fts").select(guid("snapshot_id").alias("snapshot_id"), F.coalesce("normalized_path", "path").alias("path"), "content_hash", "content")
+    return handwritten.not_handwritten(files, texts)
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return credentials(_texts(spark, sf)).select("snapshot_id", "path", "line_no").distinct()
 
@@ -31,6 +43,31 @@ def p4_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return token_slices(files, snaps)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p4_tokens)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p3_found, p3_redacted, p4_tokens)}
+
+
+def _guid(c: str) -> str:
+    return f"nullif(regexp_replace(lower({c}), '^\\s+|\\s+$|[{{}}-]', '', 'g'), '')"
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _handwritten_sql() -> str:
+    path = "regexp_replace(replace(lower(coalesce(normalized_path, path)), chr(92), '/'), '^(\\./)+', '')"
+    known = "nullif(nullif(regexp_replace(lower(trim(content_hash)), '^sha256:', ''), ''), 'pending')"
+    rules = " ".join(f"when regexp_matches(path, {_quoted(rule)}) then {_quoted(name)}" for name, rule in handwritten.RULES.items())
+    notices = " or ".join(f"contains(lower(l), {_quoted(n)})" for n in handwritten.NOTICES)
+    remark = _quoted(r"""^\s*(?://|/\*|\*|#|--|;|%|<!--|\(\*|"|'|REM\b|dnl\b|<\?)""")
+    order = ", ".join(_quoted(r) for r in [*handwritten.RULES, "large", "notice"])
+    return f"""with f as (select id, {_guid('snapshot_id')} sid, {path} path, {known} h, size from files where id is not null and not coalesce(is_binary, false)),
+    big as (select distinct {known} h from files where size >= {handwritten.LARGE}),
+    heads as (select sid, path, h, substr(unnest(list_slice(string_split(content, chr(10)), 1, {handwritten.HEAD_LINES})), 1, {handwritten.HEAD_CHARS}) l from (select {_guid('snapshot_id')} sid, {path} path, {known} h, content from file_contents_fts)),
+    marked as (select distinct sid, path, h from heads where regexp_matches(l, {remark}) and ({notices})),
+    told as (select id, case {rules} when size >= {handwritten.LARGE} then 'large' when size is null and h in (select h from big where h is not null) then 'large'
+      when h in (select h from marked where h is not null) or exists (select 1 from marked m where m.sid = f.sid and m.path = f.path) then 'notice' end as reason from f)
+    select id, list_extract([{order}], min(list_position([{order}], reason))::int) as reason from told where reason is not null group by id"""
+
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p2_reasons": _handwritten_sql(), "p2_found": f"select id from ({_handwritten_sql()})"}
