@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.common import guid, table
 from tessera.llm import handwritten
 from tessera.llm.credentials import credentials, redacted
+from tessera.llm.leaks import leaks
 from tessera.llm.token_slices import token_slices
 
 
@@ -43,7 +44,21 @@ def p4_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return token_slices(files, snaps)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p3_found, p3_redacted, p4_tokens)}
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_shares(spark, sf).select("doc_id", "item_id")
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that give away evaluation items, with the share of the item."""
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark_tasks"))
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The items that leaked, and in how many documents."""
+    return p7_shares(spark, sf).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("share").alias("largest_share"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p3_found, p3_redacted, p4_tokens, p7_found, p7_shares, p7_report)}
 
 
 def _guid(c: str) -> str:
