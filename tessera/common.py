@@ -33,6 +33,12 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scanned table over at least as many tasks as there are cores; only one of fewer files than that is shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 class Stage:
     """Tables written in the shared folder to cut the lineage of iterative jobs; they survive lost executors."""
 
