@@ -10,6 +10,7 @@ from tessera.llm import handwritten
 from tessera.llm.credentials import credentials, redacted
 from tessera.llm.leaks import leaks
 from tessera.llm.token_slices import token_slices
+from tessera.llm.truncated import truncated
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,7 +59,16 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return p7_shares(spark, sf).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("share").alias("largest_share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p3_found, p3_redacted, p4_tokens, p7_found, p7_shares, p7_report)}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncated(table(spark, sf, "documents")).where("cut").select("doc_id")
+
+
+def p9_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of each source's texts that are cut; sources compare trimmed and without case."""
+    return truncated(table(spark, sf, "documents")).groupBy("source").agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut_texts"), F.avg(F.col("cut").cast("double")).alias("cut_share"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p3_found, p3_redacted, p4_tokens, p7_found, p7_shares, p7_report, p9_found, p9_report)}
 
 
 def _guid(c: str) -> str:
