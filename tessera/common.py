@@ -22,6 +22,11 @@ def guid(c: Column | str) -> Column:
     return F.when(bare != "", bare)
 
 
+def guid_sql(c: str) -> str:
+    """``guid`` in the SQL of the checks."""
+    return f"nullif(regexp_replace(lower({c}), '^\\s+|\\s+$|[{{}}-]', '', 'g'), '')"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach: the session's checkpoint folder. Only a single-machine session without one gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
