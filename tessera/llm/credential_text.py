@@ -54,9 +54,9 @@ ADDRESS = re.compile(r"""[A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@"'<>]*:([^\s/@"'<>]+)
 CONNECTION = re.compile(r"""(?i)[;?&](?:password|pwd)=([^\s;&"'<>]+)""")
 SPOKEN = re.compile(
     r"""(?xi) (?:password|passwort|passwd|passphrase|pw|pwd|secret|token|api[ ]key)\s+(?:is|was|ist|lautet|=)\s+(\S+) | passphrase\s+(\S+) | \blogin\s+\S+\s+/\s+(\S+) | \buse\s+(\S+)\s+for\s+user\b | --?(?:password|passwd|pass|pw|token|secret|api-key)[= ](\S+)
-    | sshpass\s+-p\s*(\S+) | curl\s[^\n]*?-u\s+["']?[^\s:"']+:([^\s"']+) | \bmysql\b[^\n]*\s-p(\S+) | (?:密码|口令|密钥)\s*(?:是|为|：|:)\s*(\S+)"""
+    | sshpass\s+-p\s*(\S+) | curl\s[^\n]*?-u\s+["']?[^\s:"']+:([^\s"']+) | \bidentified\s+by\s+(\S+) | \bmysql\b[^\n]*\s-p(\S+) | (?:密码|口令|密钥)\s*(?:是|为|：|:)\s*(\S+)"""
 )
-BELOW = re.compile(rf"""(?i)({TELLING})["'\]]*\s*(?:\s*:\s*&?[A-Za-z]+(?=\s*=))?(?:=>|:=|=|:)\s*(?:\(|[>|][+-]?|\\|\"\"\"|'''|`)?\s*$|<({NAME})(?:\s[^<>]*)?>\s*$""")
+BELOW = re.compile(rf"""(?i)({TELLING})["'\]]*\s*(?:\s*:\s*&?[A-Za-z]+(?=\s*=))?(?:=>|:=|=|:)\s*(?:\(|[>|][+-]?|\\|\"\"\"|'''|`)?\s*$|{TELLING}\s*<<[-~]?\s*["']?\w+["']?\s*$|<({NAME})(?:\s[^<>]*)?>\s*$""")
 LONE = re.compile(rf"""^\s*(?:{QUOTED}[,;)]*|([^\s"'`<>(){{}}\[\],;]+))\s*\\?$""")
 BEGIN_KEY = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 BODY = re.compile(r"[A-Za-z0-9+/]{40,}")
@@ -65,7 +65,7 @@ AROUND = re.compile(r"""^[\s"'`+#/*;]+(?=[A-Za-z0-9+/\s]|$)|[\s"'`+;,\\]+$""")
 KEY_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9\-]*:(?:\s|$)")
 JOINED = re.compile(r"""(["'])\s*(?:\+|\.{1,2}|&|~|<>|\|\|)?\s*\1""")
 HASHED = re.compile(r"(?i)^(?:sha\d*[-:]|fp:|md5:)")
-LIKELY = re.compile(r"(?i)pass|pwd|pw|secret|token|key|credential|kennwort|login|use |bearer|basic|-u |://|密|口令|AKIA|ASIA|AIza|gh[pousr]_|github_pat|glpat|xox|npm_|pypi-|k_live|k_test|whsec|SG\.|pat_|dop_v1|hf_|eyJ|-p")
+LIKELY = re.compile(r"(?i)pass|pwd|pw|secret|token|key|credential|kennwort|login|use |identified|bearer|basic|-u |://|密|口令|AKIA|ASIA|AIza|gh[pousr]_|github_pat|glpat|xox|npm_|pypi-|k_live|k_test|whsec|SG\.|pat_|dop_v1|hf_|eyJ|-p")
 
 
 def weak(value: str, bare: bool) -> bool:
