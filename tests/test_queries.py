@@ -1,10 +1,10 @@
 import pytest
 from sqlcheck import SF, same
 
-from tessera.plans import general, lookups, texts, usage
+from tessera.plans import context, general, lookups, texts, usage
 from tessera.streaming import events
 
-ALL = {k: (f, m.SQL[k]) for m in (general, lookups, texts, usage, events) for k, f in m.QUERIES.items()}
+ALL = {k: (f, m.SQL[k]) for m in (general, context, lookups, texts, usage, events) for k, f in m.QUERIES.items()}
 
 
 @pytest.mark.parametrize("name", ALL)
