@@ -31,7 +31,8 @@ def changes(files: DataFrame, pairs: DataFrame) -> DataFrame:
     or 'changed', snapshot_id that of the later one. Of several rows for a path the one with the greatest created_at counts (of equal ones a deletion, then the greatest hash); a null path or snapshot is no file;
     equal hashes differ in spelling only; unknown ones never make a change. A snapshot without files is empty; no pairs give no rows.
     """
-    now = listing(files)
+    needed = pairs.select("snapshot_id").unionByName(pairs.select(F.col("previous_id").alias("snapshot_id"))).distinct()
+    now = listing(files.join(needed, "snapshot_id", "left_semi"))
     later = now.join(pairs.select("snapshot_id"), "snapshot_id", "left_semi").select("snapshot_id", "path", "hash")
     earlier = now.withColumnRenamed("snapshot_id", "previous_id").join(pairs, "previous_id").select("snapshot_id", "path", "hash")
     new, old = later.exceptAll(earlier), earlier.exceptAll(later)
