@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 BLANK = r"^[\s\u00A0\u3000\uFEFF]+|[\s\u00A0\u3000\uFEFF]+$"
 
 
+#: Rows of one key that a join puts into one task.
+EVEN_ROWS = 50_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,6 +48,14 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
+def even_join(many: DataFrame, one: DataFrame, on: str, by: str, how: str = "inner", limit: int = EVEN_ROWS) -> DataFrame:
+    """Join ``many`` rows with the ``one`` row of their key. A key of more than ``limit`` rows is spread over several tasks by the hash of ``by``, its one row copied to each."""
+    hot = many.groupBy(on).agg(F.ceil(F.count("*") / limit).cast("int").alias("parts_")).where("parts_ > 1")
+    left = many.join(hot, on, "left").withColumn("part_", F.pmod(F.xxhash64(by), F.coalesce("parts_", F.lit(1))).cast("int")).drop("parts_")
+    right = one.join(hot, on, "left").withColumn("part_", F.explode(F.sequence(F.lit(0), F.coalesce("parts_", F.lit(1)) - 1))).drop("parts_")
+    return left.join(right, [on, "part_"], how).drop("part_")
+
+
 class Stage:
     """Tables written in the shared folder to cut the lineage of iterative jobs; they survive lost executors."""
 

@@ -14,10 +14,12 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.common import Stage
+from tessera.common import Stage, even_join
 
 #: Siblings that are put in order within one window; a parent with more of them gets several windows, chained.
 SIBLINGS = 50_000
+#: Places of an interval are matched in blocks of at most 2 to this power, so that no block's rows outgrow a task.
+LARGEST_BLOCK = 16
 #: Tasks over which the rows of one loop are spread.
 SALTS = 16
 
@@ -26,7 +28,7 @@ def _numbered(nodes: DataFrame, st: Stage) -> tuple[DataFrame, DataFrame]:
     """(n, id, parent) with a 64-bit number for each id, and the edges (n, p) between existing nodes."""
     base = st.keep(nodes.where("id is not null").groupBy("id").agg(F.max(F.struct("at", "parent")).alias("last")).select("id", F.col("last.parent").alias("parent"), F.monotonically_increasing_id().alias("n")))
     up = base.select(F.col("id").alias("parent"), F.col("n").alias("p"))
-    edges = st.keep(base.where("parent is not null").select("n", "parent").join(up, "parent").select("n", "p"), n=F.count("*"))
+    edges = st.keep(even_join(base.where("parent is not null").select("n", "parent"), up, "parent", "n").select("n", "p"), n=F.count("*"))
     return base, edges
 
 
@@ -35,7 +37,7 @@ def _loops(edges: DataFrame, st: Stage) -> DataFrame | None:
     jump, left = edges, edges.seen["n"]
     while left:  # the map of 1, 2, 4, ... steps; nodes that run out of parents leave it
         step = jump.select(F.col("n").alias("p"), F.col("p").alias("pp"))
-        nxt = st.keep(jump.join(step, "p").select("n", F.col("pp").alias("p")), n=F.count("*"))
+        nxt = st.keep(even_join(jump, step, "p", "n").select("n", F.col("pp").alias("p")), n=F.count("*"))
         if jump is not edges:
             st.drop(jump)
         jump, before, left = nxt, left, nxt.seen["n"]
@@ -46,7 +48,9 @@ def _loops(edges: DataFrame, st: Stage) -> DataFrame | None:
     ring = st.keep(jump.select(F.col("p").alias("n")).distinct(), n=F.count("*"))
     while True:  # all are in or below loops now; go on until those below are peeled too
         step = jump.select(F.col("n").alias("p"), F.col("p").alias("pp"))
-        jump = st.keep(jump.join(step, "p").select("n", F.col("pp").alias("p")))
+        before, jump = jump, st.keep(even_join(jump, step, "p", "n").select("n", F.col("pp").alias("p")))
+        if before is not edges:
+            st.drop(before)
         less = st.keep(jump.select(F.col("p").alias("n")).distinct(), n=F.count("*"))
         same = less.seen["n"] == ring.seen["n"]
         ring = less
@@ -125,17 +129,17 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
     ring = _loops(edges, st)
     tree = edges if ring is None else edges.join(ring.select("n"), "n", "left_anti")
     pos = _ranked(base, tree, st)
-    names = base.select(F.col("n").alias("r"), F.col("id").alias("tree"))
-    out = pos.join(base, "n").join(names, "r")
     # the tour's length is twice the root's subtree; places count from the tour's start
-    total = pos.where("n = r").select("r", (F.col("enter_left") + 1).alias("length"))
+    trees = st.keep(pos.where("n = r").select("r", (F.col("enter_left") + 1).alias("length")).join(base.select(F.col("n").alias("r"), F.col("id").alias("tree")), "r"))
     if ring is not None:
         loops = _loop_names(ring, base, st).withColumnRenamed("n", "r")
-        rows = loops.join(total, "r").groupBy("least").agg((F.sum("length") / 2).cast("long").alias("loop_rows"))
-        out = out.join(loops.join(rows, "least"), "r", "left")
+        rows = loops.join(trees.select("r", "length"), "r").groupBy("least").agg((F.sum("length") / 2).cast("long").alias("loop_rows"))
+        trees = trees.join(even_join(loops, rows, "least", "r"), "r", "left")
     else:
-        out = out.select("*", F.lit(None).cast("string").alias("least"), F.lit(None).cast("long").alias("place"), F.lit(None).cast("long").alias("loop_rows"))
-    return out.join(total, "r").select(
+        trees = trees.select("*", F.lit(None).cast("string").alias("least"), F.lit(None).cast("long").alias("place"), F.lit(None).cast("long").alias("loop_rows"))
+    # every row of a tree meets its one row here; a tree may hold most rows
+    out = even_join(pos.join(base, "n"), trees, "r", "n")
+    return out.select(
         "id",
         "parent",
         F.coalesce("least", "tree").alias("root_id"),
@@ -156,13 +160,14 @@ def descendants(placed: DataFrame) -> DataFrame:
     Each interval is cut into its at most 2 log2 dyadic blocks and each node into the blocks that hold its entry, so containment becomes an equality join.
     Below a loop's node lie the other nodes of its loop and all that hangs on them; they come by a join on the loop's name. No node is its own descendant.
     """
-    levels = F.ceil(F.log2(F.greatest(F.lit(2), F.col("exit") + 1))).cast("int")
+    levels = F.least(F.ceil(F.log2(F.greatest(F.lit(2), F.col("exit") + 1))).cast("int"), F.lit(LARGEST_BLOCK))
     inner = placed.where("descendants > 0").select(F.col("id").alias("ancestor_id"), F.col("depth_in").alias("d0"), "tree", F.col("enter").alias("a"), F.col("exit").alias("z"), F.explode(F.sequence(F.lit(0), levels)).alias("k"))
     size = F.expr("shiftleft(1L, k)")
     lo, hi = F.floor((F.col("a") + 1 + size - 1) / size), F.floor(F.col("z") / size)
     blocks = inner.select("ancestor_id", "d0", "tree", "k", lo.cast("long").alias("lo"), hi.cast("long").alias("hi")).where("lo < hi")
-    blocks = blocks.select("ancestor_id", "d0", "tree", "k", F.explode(F.array_compact(F.array(F.when(F.col("lo") % 2 == 1, F.col("lo")), F.when(F.col("hi") % 2 == 1, F.col("hi") - 1)))).alias("block"))
-    top = F.ceil(F.log2(F.greatest(F.lit(2), F.col("enter") + 1))).cast("int") + 1
+    whole = F.sequence("lo", F.col("hi") - 1)
+    blocks = blocks.select("ancestor_id", "d0", "tree", "k", F.explode(F.when(F.col("k") == LARGEST_BLOCK, whole).otherwise(F.array_compact(F.array(F.when(F.col("lo") % 2 == 1, F.col("lo")), F.when(F.col("hi") % 2 == 1, F.col("hi") - 1))))).alias("block"))
+    top = F.least(F.ceil(F.log2(F.greatest(F.lit(2), F.col("enter") + 1))).cast("int") + 1, F.lit(LARGEST_BLOCK))
     points = placed.select("id", F.col("depth_in").alias("d1"), "tree", "enter", F.explode(F.sequence(F.lit(0), top)).alias("k"))
     points = points.select("id", "d1", "tree", "k", F.expr("shiftright(enter, k)").alias("block"))
     within = blocks.join(points, ["tree", "k", "block"]).select("ancestor_id", "id", (F.col("d1") - F.col("d0")).cast("int").alias("distance"))
