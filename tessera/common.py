@@ -15,6 +15,10 @@ BLANK = r"^[\s\u00A0\u3000\uFEFF]+|[\s\u00A0\u3000\uFEFF]+$"
 EVEN_ROWS = 50_000
 
 
+#: The temporary folders of single-machine sessions.
+OWN: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,8 +41,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-tessera-")
-        spark.sparkContext.setCheckpointDir(found)
+        found = OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-tessera-")
+        OWN[spark.sparkContext.applicationId] = found
     return found
 
 
@@ -57,7 +61,7 @@ def even_join(many: DataFrame, one: DataFrame, on: str, by: str, how: str = "inn
 
 
 class Stage:
-    """Tables written in the shared folder to cut the lineage of iterative jobs; they survive lost executors."""
+    """Tables written in the shared folder to cut the lineage of iterative jobs; they survive lost executors. Results read them, so those that are not dropped stay until the folder is cleared."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -75,8 +79,11 @@ class Stage:
 
     def drop(self, df: DataFrame | None) -> None:
         """Give back the space of a table that no later step reads."""
-        path = getattr(df, "staged_at", None)
-        if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path := getattr(df, "staged_at", None):
+            fs, p = self._place(path)
+            fs.delete(p, True)
+
+    def _place(self, path: str):
+        context = self.spark.sparkContext
+        p = context._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(context._jsc.hadoopConfiguration()), p
