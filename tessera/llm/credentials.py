@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.common import Stage
+from tessera.common import Stage, even_join
 from tessera.llm.credential_text import BEGIN_KEY, key_end, literals
 
 #: Paths in which a value may stand, at most, unless its form alone makes it certain.
@@ -109,7 +109,7 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _rare(found: DataFrame, places: DataFrame) -> DataFrame:
     """(value, key): those of a certain form, or in few paths; key tells private keys."""
     of = found.groupBy("value", "h").agg(F.max(F.col("form").isin(*CERTAIN_FORMS)).alias("certain"), F.max(F.col("form") == "private key").alias("key"))
-    per = of.join(places.select("h", "path").distinct(), "h").groupBy("value", "path").agg(F.max("certain").alias("certain"), F.max("key").alias("key"))
+    per = even_join(places.select("h", "path").distinct(), of, "h", "path").groupBy("value", "path").agg(F.max("certain").alias("certain"), F.max("key").alias("key"))
     return per.groupBy("value").agg(F.count("*").alias("owners"), F.max("certain").alias("certain"), F.max("key").alias("key")).where(F.col("certain") | (F.col("owners") <= OWNERS)).select("value", "key")
 
 
@@ -133,13 +133,13 @@ def credentials(files: DataFrame) -> DataFrame:
     for r in parts:
         bits[(r["part"] - 1) * PART_BYTES : r["part"] * PART_BYTES] = r["bits"]
     met = bodies.mapInPandas(_met(bytes(bits)), "h string, anchor long")
-    asked = met.join(told, "anchor").groupBy("h").agg(F.collect_set("value").alias("values"))
+    asked = even_join(met, told, "anchor", "h").groupBy("h").agg(F.collect_set("value").alias("values"))
     again = bodies.join(asked, "h").mapInPandas(_scan, FOUND)
     known = _rare(index, places).select("value")
     both = st.keep(index.join(known, "value", "left_semi").unionByName(again))
     # a value that only the second scan shows to be shared
     kept = both.join(_rare(both, places).select("value"), "value", "left_semi")
-    return kept.join(places, "h").select("value", "form", "snapshot_id", "path", "h", "line_no", "spans")
+    return even_join(places, kept, "h", "path").select("value", "form", "snapshot_id", "path", "h", "line_no", "spans")
 
 
 def _masked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
