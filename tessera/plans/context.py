@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.common import guid, guid_sql, table
+from tessera.functions.paths import base_name, extension
 from tessera.plans import lookups, texts, usage
-from tessera.plans.lookups import ACTIVE, base_name, extension, files
-from tessera.plans.texts import contents, keywords, parse_task_paths
-from tessera.plans.usage import feedback, packages, packages_json
+from tessera.plans.lookups import ACTIVE
+from tessera.plans.texts import keywords, parse_task_paths
+from tessera.plans.usage import packages_json
+from tessera.sources.index import contents, feedback, files, packages
 
 # Kinds of files by extension, and rules by which files are ignored, in order; of those that match the last counts, "!" takes a file back.
 CERTIFICATES = ("pem", "crt", "cer", "der", "p12", "pfx", "key")

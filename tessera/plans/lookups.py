@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.common import guid, guid_sql, table
+from tessera.functions.paths import base_name, extension, folder
+from tessera.sources.index import files, imports, symbols
 
 UNUSABLE_HASHES = ("", "pending", "sha256:pending")
 ACTIVE = ("Active", "ActiveDegraded")
@@ -28,30 +30,6 @@ BASELINE_OUT_EXTENSIONS = (
 CAMEL = "^([A-Z][a-z]+([A-Z][a-z]+)+|[a-z]+([A-Z][a-z]+)+)$"
 
 
-def base_name(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, "([^/\\\\]*)$", 1))
-
-
-def extension(path: Column) -> Column:
-    return F.regexp_extract(base_name(path), "\\.([^.]*)$", 1)
-
-
-def folder(path: Column) -> Column:
-    return F.regexp_replace(path, "/?[^/]*$", "")
-
-
-def files(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "files").select(guid("id").alias("file_id"), guid("snapshot_id").alias("snapshot_id"), "normalized_path", "size", "language", "content_hash", "mtime", "hash_kind", "parser_id", "parser_version", "status", "is_binary").distinct()
-
-
-def symbols(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "file_symbols").select(guid("file_id").alias("file_id"), guid("snapshot_id").alias("snapshot_id"), "name", "kind", "start_line", "end_line").distinct()
-
-
-def imports(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "file_imports").select(guid("file_id").alias("file_id"), guid("snapshot_id").alias("snapshot_id"), "module", "imported_name", "line").distinct()
-
-
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     """(snapshot_id, symbol): identifiers in the task texts, their first letter as a capital, to be looked up in every snapshot of the package's workspace."""
     words = F.explode(F.regexp_extract_all("task_text", F.lit("[A-Za-z]+"), F.lit(0)))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.common import guid, guid_sql, table
+from tessera.sources.index import contents
 
 # What the estimating tokenizers count; \\b\\w+\\b is written out, as \\w differs between engines.
 WORD_TOKEN = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Pc}\s]"
@@ -36,11 +37,6 @@ SALTS = 16
 QUERIES_AT_ONCE, NEIGHBOURS = 20_000, 5
 
 
-def contents(spark: SparkSession, sf: str) -> DataFrame:
-    """(snapshot_id, path, content), each distinct row once."""
-    return table(spark, sf, "file_contents_fts").select(guid("snapshot_id").alias("snapshot_id"), F.col("normalized_path").alias("path"), "content").where("content is not null and normalized_path is not null").distinct()
-
-
 def _estimates(spark: SparkSession, sf: str, tokens: Column) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.coalesce(tokens, F.lit(0)).cast("long").alias("tokens"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.common import guid, guid_sql, table
+from tessera.sources.index import feedback, packages
 
 #: Rows that a list shows.
 LISTED = 20
@@ -15,19 +16,6 @@ PRICE_IN, PRICE_OUT = 3, 15
 GATE_SUCCESS, GATE_MISSING, GATE_POSITIVE = 0.95, 0.10, 0.60
 
 
-def packages(spark: SparkSession, sf: str) -> DataFrame:
-    """One row for each package: of several the one saved last, of equal ones the one with the greatest estimate."""
-    rows = table(spark, sf, "context_packages").withColumn("package_id", guid("id"))
-    order = F.struct("created_at", "actual_estimate", "selected_file_count", "excluded_count", "task_text")
-    keep = ["workspace_id", "index_snapshot_id", "task_text", "ranking_profile_id", "ranking_profile_version", "actual_estimate", "selected_file_count", "excluded_count", "tokenizer", "created_at"]
-    one = rows.groupBy("package_id").agg(F.max_by(F.struct(*keep), order).alias("r")).select("package_id", "r.*")
-    return one.withColumn("workspace_id", guid("workspace_id")).withColumn("index_snapshot_id", guid("index_snapshot_id"))
-
-
-def feedback(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "context_feedback").distinct().withColumn("package_id", guid("context_package_id")).withColumnRenamed("id", "feedback_id")
-
-
 def _rate(condition: Column) -> Column:
     return F.round(F.avg(F.when(condition, 1.0).otherwise(0.0)), 4)
 
