@@ -141,19 +141,20 @@ def aligned(text: np.ndarray, item: np.ndarray, half: int) -> np.ndarray:
     n, m = len(text), len(item)
     half = half + abs(n - m)
     width, far = 2 * half + 1, 1 << 28
-    offs = np.arange(width) - half  # column of the item, less the row of the text
-    row = np.where((offs >= 0) & (offs <= m), offs, far)
+    places = np.arange(width, dtype="int32")
+    row = np.where(places >= half, places - half, far).astype("int32")  # place k of row i is column i + k - half of the item
+    padded = np.concatenate([np.zeros(half, "uint32"), item, np.zeros(max(0, n + half - m) + 1, "uint32")])
     steps = np.zeros((n + 1, width), "int8")  # 0: over the item only, 1: both, 2: over the text only
-    rows = np.arange(width)
+    down = np.full(width, far, "int32")
+    # columns before the item are far, and from those behind it no step leads back
     for i in range(1, n + 1):
-        j = i + offs
-        inside = (j >= 1) & (j <= m)
-        both = np.where(inside, row + (item[np.clip(j - 1, 0, m - 1)] != text[i - 1]), far)
-        down = np.where((j >= 0) & (j <= m), np.append(row[1:], far) + 1, far)
+        both = row + (padded[i - 1 : i - 1 + width] != text[i - 1])
+        np.add(row[1:], 1, out=down[:-1])
         best = np.minimum(both, down)
-        run = np.minimum.accumulate(best - rows) + rows
-        steps[i] = np.where(run < best, 0, np.where(both <= down, 1, 2))
-        row = np.where((j >= 0) & (j <= m), run, far)
+        row = np.minimum.accumulate(best - places) + places
+        step = (both > down).astype("int8") + 1
+        step[row < best] = 0
+        steps[i] = step
     same = np.zeros(m, bool)
     i, j = n, m
     while i > 0 and j > 0:
