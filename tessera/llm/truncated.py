@@ -1,13 +1,15 @@
 """Texts that lack their end, and how often each source cuts.
 
-Near-copies are found by min-hash bands over five-word shingles, each text against the longest ones of its bucket, and verified; where the end of the shorter is aligned within a line of the longer, it ends early.
+Near-copies are found by min-hash bands over five-word shingles, each text against all longer ones of its bucket that its size allows, and verified; where the end of the shorter is aligned within a line of the longer, it ends early.
+In a crowded bucket the longest come first; texts that these leave open meet all others that hold the characters at which they end.
 For all others the closing words tell: how often they end a line without a mark in all documents, against how often they go on. A text that ends openly at the length at which its source's texts pile up is cut as well.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,11 +29,16 @@ PILE_SHARE, PILE, STANDS_OUT, LEAST_LIMIT, CHARACTER = 0.01, 3, 2, 100, 3
 #: Words that end fewer of their lines than this do not close a text; a formula closes so many texts at least, and so many times those expected by chance.
 TERMINAL, FORMULA, OFTEN = 0.5, 3, 10
 SALTS = 8
+#: Texts up to which all of a bucket are paired directly; texts a side that one task pairs in larger ones.
+CROWD, BLOCK = 200, 1000
+#: Bits of the map of anchors that all tasks get, and bytes of one part of it.
+BITS, PART_BYTES = 1 << 24, 4096
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 SEEDS = np.array([xxhash.xxh64_intdigest(str(k)) | 1 for k in range(BANDS * ROWS)], "uint64")
 COUNTS = "kind string, before string, word string, bare long, other long"
 ENDS = "doc_id long, source string, chars int, bytes int, state string, kind string, before string, word string"
-SIGNED = "h long, size int, band int, bucket long"
+SIGNED = "h long, size int, shingles int, tail string, anchor long, band int, bucket long"
 
 
 def shingles(text: str) -> np.ndarray:
@@ -50,18 +57,71 @@ def _signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for at in range(0, len(s), 4096):  # a long text in pieces
                 x = s[at : at + 4096, None] * SEEDS
                 low = np.minimum(low, (x ^ (x >> np.uint64(31))).min(axis=0))
-            out += [(h, len(text), b, xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes()) - (1 << 63)) for b in range(BANDS)]
+            tail = end_of(text)
+            may = may_end_early(tail)
+            out += [(h, len(text), len(s), tail if may else None, anchor(tail) if may else 0, b, xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes()) - (1 << 63)) for b in range(BANDS)]
         yield pd.DataFrame(out, columns=columns)
 
 
+def end_of(text: str) -> str:
+    """The last TAIL characters, without blanks, dots and remarks of an omission after them."""
+    tail = text.rstrip().rstrip(closing.BROKEN)
+    dots = closing.OMISSION.search(tail) or closing.DOTS.search(tail)
+    return (tail[: dots.start()] if dots else tail).rstrip()[-TAIL:]
+
+
+def may_end_early(tail: str) -> bool:
+    """Whether any text may go on after the tail: not if its last MATCH characters, which that text has as well, close a sentence."""
+    last = tail[-MATCH:]
+    return bool(tail) and not closing.CLOSED.search(last.rsplit("\n", 1)[-1] if "\n" in last else "x" + last)
+
+
+def _runs(codes: np.ndarray) -> np.ndarray:
+    """A hash of each run of MATCH characters."""
+    h = np.zeros(len(codes) - MATCH + 1, "uint64")
+    for k in range(MATCH):
+        h = (h ^ codes[k : len(h) + k].astype("uint64")) * MULTIPLIER
+        h ^= h >> np.uint64(32)
+    return h.astype("int64")
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "uint32")
+
+
+def anchor(tail: str) -> int:
+    """A hash of the last MATCH characters of a tail; 0 for a shorter one."""
+    return int(_runs(_codes(tail[-MATCH:]))[0]) if len(tail) >= MATCH else 0
+
+
+def anchors(text: str) -> np.ndarray:
+    """The distinct anchors of the tails after which the text may go on in its line."""
+    codes = _codes(text)
+    return np.unique(np.append(_runs(codes)[:-1][codes[MATCH:] != ord("\n")], 0)) if len(codes) > MATCH else np.zeros(1, "int64")
+
+
+def _met(bits: bytes) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The anchors of each text that are among those asked for, by a bitmap of fixed size that may let others through."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        on = np.unpackbits(np.frombuffer(bits, "uint8"), bitorder="little")
+        for f in frames:
+            found = [a[on[a & (BITS - 1)] == 1] for a in map(anchors, f["text"])]
+            yield pd.DataFrame({"other": np.repeat(f["other"].to_numpy(), [len(a) for a in found]), "anchor": np.concatenate(found) if found else np.zeros(0, "int64")})
+
+    return run
+
+
 def ends_early(short: str, long: str) -> bool:
     """Whether the end of ``short`` is aligned within a line of ``long`` that goes on."""
-    tail = short.rstrip().rstrip(closing.BROKEN)
-    dots = closing.OMISSION.search(tail) or closing.DOTS.search(tail)
-    tail = (tail[: dots.start()] if dots else tail).rstrip()[-TAIL:]
-    lo = max(0, len(short) - 4 * TAIL - (len(long) - len(short)))
+    return aligned(end_of(short), len(short), long)
+
+
+def aligned(tail: str, size: int, long: str) -> bool:
+    """``ends_early`` of a text of ``size`` characters with this end."""
+    lo = max(0, size - 4 * TAIL - (len(long) - size))
     body = long[lo:].rstrip()
-    if not tail or not body:
+    if not tail or not re.search(re.escape(tail[-MATCH:]) + r"[^\n]", body):
         return False
     a, b = np.array([ord(c) for c in tail]), np.array([ord(c) for c in body])
     row, places = np.zeros(len(b) + 1, "int32"), np.arange(len(b) + 1)
@@ -73,28 +133,86 @@ def ends_early(short: str, long: str) -> bool:
     return bool(row[end] <= len(a) // 6 and body[:end].endswith(tail[-MATCH:]) and rest and rest[0] != "\n" and not closing.CLOSED.search(body[:end].rsplit("\n", 1)[-1]))
 
 
-def _judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _ending(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        yield f.loc[[aligned(*x) for x in zip(f["tail"], f["size"], f["long"])], ["h", "other"]]
+
+
+def _alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         keep = []
         for short, long in zip(f["short"], f["long"]):
             a, b = shingles(short), shingles(long)
             both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(both >= SIMILAR * (len(a) + len(b) - both) and ends_early(short, long))
+            keep.append(both >= SIMILAR * (len(a) + len(b) - both))
         yield f.loc[keep, ["h"]]
 
 
-def cut_copies(texts: DataFrame, st: Stage) -> DataFrame:
-    """(h) of the distinct texts that end early against a longer near-copy. texts: (h, text), one row each."""
-    signed = st.keep(texts.select("h", "text").mapInPandas(_signed, SIGNED).withColumn("class", F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / F.log(F.lit(1.25))).cast("int")))
-    # a near-copy is at most a class longer; the longest of a bucket and class stands for it
-    longest = signed.groupBy("band", "bucket", "class").agg(F.max(F.struct("size", "h")).alias("top"), F.count("*").alias("n"))
-    crowded = longest.groupBy("band", "bucket").agg(F.sum("n").alias("n")).where("n > 1")
-    stand = longest.join(crowded.select("band", "bucket"), ["band", "bucket"], "left_semi").select("band", "bucket", F.explode(F.array("class", F.col("class") - 1)).alias("class"), F.col("top.h").alias("other"), F.col("top.size").alias("longer"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    pairs = signed.withColumn("salt", F.pmod(F.hash("h"), F.lit(SALTS))).join(stand, ["band", "bucket", "class", "salt"]).where("size < longer").select("h", "other").distinct()
-    pairs = st.keep(pairs)
-    short = pairs.join(texts.select("h", F.col("text").alias("short")), "h")
-    both = short.join(texts.select(F.col("h").alias("other"), F.col("text").alias("long")), "other")
-    return both.select("h", "short", "long").mapInPandas(_judged, "h long").distinct()
+def _early(pairs: DataFrame, texts: DataFrame, st: Stage) -> DataFrame:
+    """(h) of the pairs of partners of which the shorter ends early against a near-copy; the ends are aligned first, and only what they leave is compared as a whole."""
+    # of near-copies of a and b shingles the smaller has at least SIMILAR times those of the larger
+    near = (F.col("size") < F.col("longer")) & (F.least("shingles", "others") >= SIMILAR * F.greatest("shingles", "others"))
+    pairs = st.keep(pairs.where(near).select("h", "size", "tail", "other").dropDuplicates(["h", "other"]))
+    long = texts.select(F.col("h").alias("other"), F.col("text").alias("long"))
+    met = even_join(pairs, long, "other", "h").where(F.contains("long", F.substring("tail", -MATCH, MATCH)))
+    left = st.keep(met.select("h", "size", "tail", "other", "long").mapInPandas(_ending, "h long, other long"))
+    st.drop(pairs)
+    short = st.keep(even_join(left, texts.select("h", F.col("text").alias("short")), "h", "other"))
+    found = st.keep(even_join(short, long, "other", "h").select("h", "short", "long").mapInPandas(_alike, "h long").distinct())
+    st.drop(left)
+    st.drop(short)
+    return found
+
+
+def _short(members: DataFrame) -> DataFrame:
+    return members.where("tail is not null").select("band", "bucket", "h", "size", "shingles", "tail", "anchor")
+
+
+def _long(members: DataFrame) -> DataFrame:
+    return members.select("band", "bucket", F.col("h").alias("other"), F.col("size").alias("longer"), F.col("shingles").alias("others"))
+
+
+def _crossed(short: DataFrame, long: DataFrame, on: list[str], block: int) -> DataFrame:
+    """All pairs of equal keys. A key of more than ``block`` rows on a side is dealt into squares of about that many rows a side, each for one task."""
+    rows, columns = (df.groupBy(on).agg(F.ceil(F.count("*") / block).cast("int").alias(k)) for df, k in ((short, "rows_"), (long, "columns_")))
+    hot = rows.join(columns, on).where("rows_ > 1 or columns_ > 1")
+    rows, columns = F.coalesce("rows_", F.lit(1)), F.coalesce("columns_", F.lit(1))
+    left = short.join(hot, on, "left").withColumn("row_", F.pmod(F.xxhash64("h"), rows).cast("int")).withColumn("column_", F.explode(F.sequence(F.lit(0), columns - 1))).drop("rows_", "columns_")
+    right = long.join(hot, on, "left").withColumn("column_", F.pmod(F.xxhash64("other"), columns).cast("int")).withColumn("row_", F.explode(F.sequence(F.lit(0), rows - 1))).drop("rows_", "columns_")
+    return left.join(right, [*on, "row_", "column_"]).drop("row_", "column_")
+
+
+def _crowded(members: DataFrame, early: DataFrame, texts: DataFrame, st: Stage, block: int) -> DataFrame:
+    """(h) of the texts of crowded buckets that end early and are not in ``early``."""
+    # the longest of a bucket and class come first, as they settle most; sizes of near-copies are at most a class apart
+    size_class = F.floor(F.log(F.col("shingles")) / F.log(F.lit(1.26))).cast("int")
+    graded = members.join(early, "h", "left_anti").withColumn("class", size_class).withColumn("salt", F.pmod(F.hash("h"), F.lit(SALTS))).where("tail is not null")
+    longest = members.withColumn("class", size_class).groupBy("band", "bucket", "class").agg(F.max(F.struct("size", "h", "shingles")).alias("top"))
+    stand = longest.select("band", "bucket", F.explode(F.array(F.col("class") - 1, "class", F.col("class") + 1)).alias("class"), F.col("top.h").alias("other"), F.col("top.size").alias("longer"), F.col("top.shingles").alias("others"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    first = _early(graded.join(stand, ["band", "bucket", "class", "salt"]), texts, st)
+    # the rest meet all texts of their bucket that go on after the characters at which they end
+    short = st.keep(_short(members).join(early.unionByName(first), "h", "left_anti"))
+    bit = (F.col("anchor").bitwiseAND(BITS - 1) + 1).alias("bit")
+    bits = bytearray(BITS // 8)
+    for r in short.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect():
+        bits[(r["part"] - 1) * PART_BYTES : r["part"] * PART_BYTES] = r["bits"]
+    on = ["band", "bucket", "anchor"]
+    met = texts.join(members.select("h").distinct(), "h", "left_semi").select(F.col("h").alias("other"), "text").mapInPandas(_met(bytes(bits)), "other long, anchor long")
+    long = st.keep(_long(members).join(met, "other").join(short.select(on).distinct(), on, "left_semi"))
+    return first.unionByName(_early(_crossed(short, long, on, block), texts, st))
+
+
+def cut_copies(texts: DataFrame, st: Stage, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+    """(h) of the distinct texts that end early against any longer near-copy of a bucket of theirs. texts: (h, text), one row each. ``crowd`` and ``block`` tell how the pairs are made, not which."""
+    signed = st.keep(texts.select("h", "text").mapInPandas(_signed, SIGNED))
+    several = signed.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.count("tail").alias("ends")).where("n > 1 and ends > 0").select("band", "bucket", "n")
+    members = st.keep(signed.join(several, ["band", "bucket"]), crowded=F.count_if(F.col("n") > crowd))
+    st.drop(signed)
+    few = members.where(F.col("n") <= crowd)
+    early = _early(_short(few).join(_long(few), ["band", "bucket"]), texts, st)
+    if not members.seen["crowded"]:
+        return early
+    return early.unionByName(_crowded(members.where(F.col("n") > crowd), early, texts, st, block)).distinct()
 
 
 def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,7 +1,11 @@
 import random
 
+import numpy as np
+import pytest
+
+from tessera.common import Stage
 from tessera.llm.closing import ending
-from tessera.llm.truncated import ends_early, truncated
+from tessera.llm.truncated import SIMILAR, anchor, anchors, cut_copies, end_of, ends_early, may_end_early, shingles, truncated
 
 ENDS = ["the index waits for the lock", "every reader skips the old rows", "a writer keeps the second copy", "the cache drops the last chunk"]
 
@@ -33,5 +37,45 @@ def test_limits_copies_and_closing_words(spark):
     assert all(got[r[0]] == (not r[1].rstrip().endswith(".")) for r in limit)
 
 
+def test_what_rules_out_a_partner():
+    long = "The index waits for the lock.\n-- the team\nA writer (it keeps the second copy) skips rows\n  ```\nx"
+    for end in range(1, len(long) + 1):
+        tail = end_of(long[:end])
+        assert not ends_early(long[:end], long) or may_end_early(tail) and anchor(tail) in anchors(long)
+    assert may_end_early("x        ```") and not may_end_early("it\n   ```") and not may_end_early("rows.)") and not may_end_early("")
+    assert anchor("short") == 0 and anchors("abc").tolist() == [0]
+
+
+def _copies():
+    """Texts of several families; the longest of each end in another way than those that others of the family are the beginnings of."""
+    rnd = random.Random(7)
+    words = [f"w{k}" for k in range(3000)]
+    say = lambda n: " ".join(rnd.choice(words) for _ in range(n)).capitalize() + "."
+    rows = []
+    for _ in range(3):
+        base = " ".join(say(12) for _ in range(60))
+        last = say(12)
+        rows += [base + " " + last, (base + " " + last)[: len(base) + 18], (base + " " + last)[: len(base) + 11], base.replace("w1", "v1", 1) + " " + last[:16]]
+        rows += [base + " " + say(9) + "\n" + " ".join(say(3) for _ in range(2)) for _ in range(25)]
+        rows += [base + "\n\n-- the team" + str(k) for k in range(6)]
+    return rows + ["Fix it", "fix  it", "Fix it now", " ", "yes", "yes …"] + [say(20) for _ in range(20)]
+
+
+@pytest.mark.parametrize(("crowd", "block"), [(200, 1000), (2, 3), (2, 1000), (20, 4)])
+def test_the_longest_of_a_bucket_hides_no_other_partner(spark, crowd, block):
+    texts = _copies()
+    sets = [shingles(t) for t in texts]
+    want = set()
+    for k, short in enumerate(texts):
+        for n, long in enumerate(texts):
+            both = len(np.intersect1d(sets[k], sets[n]))
+            if len(short) < len(long) and both >= SIMILAR * (len(sets[k]) + len(sets[n]) - both) and ends_early(short, long):
+                want.add(k)
+    assert len(want) >= 9
+    frame = spark.createDataFrame(list(enumerate(texts)), "h long, text string")
+    got = [r.h for r in cut_copies(frame, Stage(spark, "test"), crowd, block).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_an_empty_table(spark):
     assert truncated(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
