@@ -48,10 +48,9 @@ def shingles(text: str) -> np.ndarray:
 
 
 def _signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in SIGNED.split(", ")]
     for f in frames:
-        out = []
-        for h, text in zip(f["h"], f["text"]):
+        out, buckets = [], []
+        for text in f["text"]:
             s = shingles(text)
             low = np.full(BANDS * ROWS, np.iinfo("uint64").max, "uint64")
             for at in range(0, len(s), 4096):  # a long text in pieces
@@ -59,14 +58,18 @@ def _signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 low = np.minimum(low, (x ^ (x >> np.uint64(31))).min(axis=0))
             tail = end_of(text)
             may = may_end_early(tail)
-            out += [(h, len(text), len(s), tail if may else None, anchor(tail) if may else 0, b, xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes()) - (1 << 63)) for b in range(BANDS)]
-        yield pd.DataFrame(out, columns=columns)
+            out.append((len(text), len(s), tail if may else None, anchor(tail) if may else 0))
+            buckets += [xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes()) - (1 << 63) for b in range(BANDS)]
+        one = pd.DataFrame(out, columns=["size", "shingles", "tail", "anchor"]).assign(h=f["h"].to_numpy())
+        every = one.loc[np.repeat(np.arange(len(one)), BANDS)]
+        yield every.assign(band=np.tile(np.arange(BANDS), len(one)), bucket=np.array(buckets, "int64"))[[c.split()[0] for c in SIGNED.split(", ")]]
 
 
 def end_of(text: str) -> str:
     """The last TAIL characters, without blanks, dots and remarks of an omission after them."""
     tail = text.rstrip().rstrip(closing.BROKEN)
-    dots = closing.OMISSION.search(tail) or closing.DOTS.search(tail)
+    last = tail.rstrip()[-1:]  # the patterns end with these
+    dots = closing.OMISSION.search(tail) if last and last in "])）】" else closing.DOTS.search(tail) if last and last in ".…" else None
     return (tail[: dots.start()] if dots else tail).rstrip()[-TAIL:]
 
 
@@ -91,7 +94,13 @@ def _codes(text: str) -> np.ndarray:
 
 def anchor(tail: str) -> int:
     """A hash of the last MATCH characters of a tail; 0 for a shorter one."""
-    return int(_runs(_codes(tail[-MATCH:]))[0]) if len(tail) >= MATCH else 0
+    if len(tail) < MATCH:
+        return 0
+    h = 0
+    for c in tail[-MATCH:]:  # as _runs
+        h = (h ^ ord(c)) * int(MULTIPLIER) % (1 << 64)
+        h ^= h >> 32
+    return h - (h >> 63 << 64)
 
 
 def anchors(text: str) -> np.ndarray:
