@@ -31,6 +31,8 @@ TERMINAL, FORMULA, OFTEN = 0.5, 3, 10
 SALTS = 8
 #: Texts up to which all of a bucket are paired directly; texts a side that one task pairs in larger ones.
 CROWD, BLOCK = 200, 1000
+#: One pair settles a text: of crowded buckets one in so many pairs is compared, then more of those of the texts still open, at last all.
+ROUNDS = (64, 8, 1)
 #: Bits of the map of anchors that all tasks get, and bytes of one part of it.
 BITS, PART_BYTES = 1 << 24, 4096
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -157,11 +159,15 @@ def _alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield f.loc[keep, ["h"]]
 
 
-def _early(pairs: DataFrame, texts: DataFrame, st: Stage) -> DataFrame:
-    """(h) of the pairs of partners of which the shorter ends early against a near-copy; the ends are aligned first, and only what they leave is compared as a whole."""
-    # of near-copies of a and b shingles the smaller has at least SIMILAR times those of the larger
+def _partners(pairs: DataFrame) -> DataFrame:
+    """(h, size, tail, other), each pair once: of near-copies the smaller number of shingles is at least SIMILAR times the larger."""
     near = (F.col("size") < F.col("longer")) & (F.least("shingles", "others") >= SIMILAR * F.greatest("shingles", "others"))
-    pairs = st.keep(pairs.where(near).select("h", "size", "tail", "other").dropDuplicates(["h", "other"]))
+    return pairs.where(near).select("h", "size", "tail", "other").dropDuplicates(["h", "other"])
+
+
+def _early(pairs: DataFrame, texts: DataFrame, st: Stage) -> DataFrame:
+    """(h) of the partners of which the shorter ends early against a near-copy; the ends are aligned first, and only what they leave is compared as a whole."""
+    pairs = st.keep(pairs)
     long = texts.select(F.col("h").alias("other"), F.col("text").alias("long"))
     met = even_join(pairs, long, "other", "h").where(F.contains("long", F.substring("tail", -MATCH, MATCH)))
     left = st.keep(met.select("h", "size", "tail", "other", "long").mapInPandas(_ending, "h long, other long"))
@@ -198,7 +204,7 @@ def _crowded(members: DataFrame, early: DataFrame, texts: DataFrame, st: Stage,
     graded = members.join(early, "h", "left_anti").withColumn("class", size_class).withColumn("salt", F.pmod(F.hash("h"), F.lit(SALTS))).where("tail is not null")
     longest = members.withColumn("class", size_class).groupBy("band", "bucket", "class").agg(F.max(F.struct("size", "h", "shingles")).alias("top"))
     stand = longest.select("band", "bucket", F.explode(F.array(F.col("class") - 1, "class", F.col("class") + 1)).alias("class"), F.col("top.h").alias("other"), F.col("top.size").alias("longer"), F.col("top.shingles").alias("others"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    first = _early(graded.join(stand, ["band", "bucket", "class", "salt"]), texts, st)
+    first = _early(_partners(graded.join(stand, ["band", "bucket", "class", "salt"])), texts, st)
     # the rest meet all texts of their bucket that go on after the characters at which they end
     short = st.keep(_short(members).join(early.unionByName(first), "h", "left_anti"))
     bit = (F.col("anchor").bitwiseAND(BITS - 1) + 1).alias("bit")
@@ -208,7 +214,11 @@ def _crowded(members: DataFrame, early: DataFrame, texts: DataFrame, st: Stage,
     on = ["band", "bucket", "anchor"]
     met = texts.join(members.select("h").distinct(), "h", "left_semi").select(F.col("h").alias("other"), "text").mapInPandas(_met(bytes(bits)), "other long, anchor long")
     long = st.keep(_long(members).join(met, "other").join(short.select(on).distinct(), on, "left_semi"))
-    return first.unionByName(_early(_crossed(short, long, on, block), texts, st))
+    pairs = st.keep(_partners(_crossed(short, long, on, block)))
+    for one_in in ROUNDS:
+        some = pairs.where(F.pmod(F.xxhash64("h", "other"), F.lit(one_in)) == 0)
+        first = first.unionByName(_early(some.join(first, "h", "left_anti"), texts, st))
+    return first
 
 
 def cut_copies(texts: DataFrame, st: Stage, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
@@ -218,7 +228,7 @@ def cut_copies(texts: DataFrame, st: Stage, crowd: int = CROWD, block: int = BLO
     members = st.keep(signed.join(several, ["band", "bucket"]), crowded=F.count_if(F.col("n") > crowd))
     st.drop(signed)
     few = members.where(F.col("n") <= crowd)
-    early = _early(_short(few).join(_long(few), ["band", "bucket"]), texts, st)
+    early = _early(_partners(_short(few).join(_long(few), ["band", "bucket"])), texts, st)
     if not members.seen["crowded"]:
         return early
     return early.unionByName(_crowded(members.where(F.col("n") > crowd), early, texts, st, block)).distinct()
